@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import survivors
+from sheafwork.llm import leaks, sentences, survivors
 from sheafwork.session import table
 
 
@@ -16,4 +16,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.where("n_records > 1").select(F.col("survivor_id").alias("page_row_id"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_found": p6_found}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "gold_items")).select("doc_id", "item_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found}
