@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import leaks, pii, sentences, survivors
+from sheafwork.llm import consensus, leaks, pii, sentences, survivors
 from sheafwork.session import table
 
 
@@ -19,6 +19,18 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redacted(table(spark, sf_dir, "documents"), pii.fit_on(table(spark, sf_dir, "gold_items")))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.consensus(table(spark, sf_dir, "detections")).select("item_id", "entity_type")
+
+
+def p2_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.reliability(table(spark, sf_dir, "detections"))
+
+
+def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.agreement(table(spark, sf_dir, "detections"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = survivors.page_survivors(table(spark, sf_dir, "page_results"), table(spark, sf_dir, "runs"))
     return kept.where("n_records > 1").select(F.col("survivor_id").alias("page_row_id"))
@@ -32,4 +44,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_reliability": p2_reliability, "p2_agreement": p2_agreement, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found}
