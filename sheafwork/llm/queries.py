@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import consensus, leaks, pii, sentences, survivors
+from sheafwork.llm import consensus, leaks, linkage, pii, sentences, survivors
 from sheafwork.session import table
 
 
@@ -31,6 +31,14 @@ def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.agreement(table(spark, sf_dir, "detections"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_confidence(spark, sf_dir).select("region_uid", "rescan_uid")
+
+
+def p4_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.linked(table(spark, sf_dir, "regions"), table(spark, sf_dir, "rescan_regions"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = survivors.page_survivors(table(spark, sf_dir, "page_results"), table(spark, sf_dir, "runs"))
     return kept.where("n_records > 1").select(F.col("survivor_id").alias("page_row_id"))
@@ -44,4 +52,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_reliability": p2_reliability, "p2_agreement": p2_agreement, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_reliability": p2_reliability, "p2_agreement": p2_agreement, "p4_found": p4_found, "p4_confidence": p4_confidence, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found}
