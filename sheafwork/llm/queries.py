@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import consensus, leaks, linkage, pii, sentences, survivors
+from sheafwork.llm import consensus, leaks, linkage, mixing, pii, scans, sentences, survivors
 from sheafwork.session import table
 
 
@@ -39,6 +39,35 @@ def p4_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.linked(table(spark, sf_dir, "regions"), table(spark, sf_dir, "rescan_regions"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.noise_lines(table(spark, sf_dir, "page_results"))
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired(table(spark, sf_dir, "page_results"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.quotas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "gold_items")
+    return leaks.leaked_items(leaks.leaks(table(spark, sf_dir, "documents"), items), items)
+
+
+def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.page_survivors(table(spark, sf_dir, "page_results"), table(spark, sf_dir, "runs"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = survivors.page_survivors(table(spark, sf_dir, "page_results"), table(spark, sf_dir, "runs"))
     return kept.where("n_records > 1").select(F.col("survivor_id").alias("page_row_id"))
@@ -52,4 +81,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_reliability": p2_reliability, "p2_agreement": p2_agreement, "p4_found": p4_found, "p4_confidence": p4_confidence, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_reliability": p2_reliability, "p2_agreement": p2_agreement, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_quotas": p8_quotas, "p9_found": p9_found}
