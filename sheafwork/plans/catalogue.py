@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sheafwork.operators import pii_run_tables
+from sheafwork.plans import spans_plans
 from sheafwork.session import table
 
 
@@ -15,8 +16,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_found(spark, sf_dir)
+    return spans_plans.span_summary(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, **spans_plans.QUERIES}
+ORACLES: dict[str, str] = {**spans_plans.ORACLES}
