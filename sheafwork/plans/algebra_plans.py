@@ -1,0 +1,31 @@
+"""Queries over merged, redacted and scored spans."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sheafwork.operators import recognise, span_algebra
+from sheafwork.session import table
+
+
+def merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_algebra.merged(recognise.spans(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+
+
+def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = recognise.spans(docs, "doc_id").groupBy("doc_id").agg(span_algebra.resolve(F.collect_list(F.struct("start_pos", "end_pos", "score", "entity_type"))).alias("s"))
+    return docs.join(found, "doc_id").select("doc_id", span_algebra.placeholders(F.col("text"), F.col("s")).alias("text"), F.size("s").alias("n"))
+
+
+def eval_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "gold_items")
+    gold = items.select("item_id", F.inline("entities")).select("item_id", "entity_type", "start_pos", "end_pos")
+    score = span_algebra.exact_score(span_algebra.merged(recognise.spans(items, "item_id"), "item_id"), gold, "item_id")
+    p, r = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
+    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 4)
+    return score.select("entity_type", "tp", "fp", "fn", zero(p).alias("precision"), zero(r).alias("recall"), zero(F.try_divide(2 * p * r, p + r)).alias("f1"))
+
+
+QUERIES = {"merge_spans": merge_spans, "redact_documents": redact_documents, "eval_gold": eval_gold}

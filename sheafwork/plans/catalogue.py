@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sheafwork.operators import pii_run_tables
-from sheafwork.plans import spans_plans, table_plans
+from sheafwork.plans import algebra_plans, spans_plans, table_plans
 from sheafwork.session import table
 
 
@@ -19,5 +19,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans_plans.span_summary(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, **spans_plans.QUERIES, **table_plans.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, **spans_plans.QUERIES, **table_plans.QUERIES, **algebra_plans.QUERIES}
 ORACLES: dict[str, str] = {**spans_plans.ORACLES, **table_plans.ORACLES}

@@ -1,0 +1,36 @@
+"""Sources and sinks beside parquet tables, and model adapters that are missing here."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+GOLD = "id string, text string, entities array<struct<entity_type:string,start:int,end:int,text:string>>"
+
+
+def gold_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """Annotated records, one JSON object a line; blank and damaged lines are skipped."""
+    return spark.read.schema(GOLD).option("mode", "DROPMALFORMED").json(path)
+
+
+def list_documents(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
+    """(path, size_bytes, modified) of the files of a folder; contents aren't read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
+
+
+def write_predictions(spans: DataFrame, path: str) -> None:
+    spans.write.mode("overwrite").json(path)
+
+
+def write_errors(rows: DataFrame, path: str) -> None:
+    """CSV with a header; missing values are empty."""
+    rows.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns)).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_results(rows: DataFrame, path: str, *by: str) -> None:
+    rows.write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def unavailable(pages: DataFrame, name: str, library: str, key: str = "page_row_id") -> DataFrame:
+    """One row per page for a producer or detector whose library is missing: status ``skipped`` and the reason."""
+    return pages.select(key, F.lit(name).alias("producer"), F.lit("skipped").alias("status"), F.lit(f"dependency missing: {library}").alias("reason"))
