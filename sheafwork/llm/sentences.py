@@ -215,7 +215,7 @@ def _split(text: str, low: int, high: int, out: list[tuple[int, int]]) -> None:
                 while k >= low and text[k].isspace():
                     k -= 1
                 number = k >= low and text[k].isdigit() and text[a - 2].isspace()
-                if not number and not _ends_with(text, word_end, low, _OPEN_TRIE):
+                if not number and (before.isupper() and text[a - 2] != "." or not _ends_with(text, word_end, low, _OPEN_TRIE)):
                     continue
             if before.isdigit() and follows.isalpha():
                 k = a
