@@ -186,7 +186,7 @@ _add(
     "page_results",
     """with m as (select {doc} as document_id, solution, run_id, avg(case when confidence > 1 then confidence / 100 else confidence end) as c, sum(n_tables) as t from {page_results} group by 1, 2, 3), k as (select *, row_number() over (partition by document_id, solution order by run_id) as place from m),
 a as (select * from k where place = 1), b as (select * from k where place = 2)
-select coalesce(a.document_id, b.document_id) as document_id, coalesce(a.solution, b.solution) as solution, round(b.c - a.c, 6) as d_confidence, cast(b.t - a.t as bigint) as d_tables from a full outer join b on a.document_id = b.document_id and a.solution = b.solution""",
+select coalesce(a.document_id, b.document_id) as document_id, coalesce(a.solution, b.solution) as solution, round(b.c - a.c, 6) as d_confidence, cast(b.t - a.t as double) as d_tables from a full outer join b on a.document_id = b.document_id and a.solution = b.solution""",
     doc=(doc("document_id"), doc("document_id")),
 )
 _add("runs_by_document", "runs", "select {doc} as document_id, count(distinct run_id) as n_runs, cast(count(case when status = 'running' then 1 end) as bigint) as running from {runs} group by 1", doc=(doc("document_id"), doc("document_id")))
