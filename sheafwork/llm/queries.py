@@ -47,6 +47,10 @@ def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repaired(table(spark, sf_dir, "page_results"))
 
 
+def p5_repaired_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired_regions(table(spark, sf_dir, "page_results"), table(spark, sf_dir, "regions"))
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
@@ -81,4 +85,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_reliability": p2_reliability, "p2_agreement": p2_agreement, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_quotas": p8_quotas, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_reliability": p2_reliability, "p2_agreement": p2_agreement, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p5_repaired": p5_repaired, "p5_repaired_regions": p5_repaired_regions, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_quotas": p8_quotas, "p9_found": p9_found}
