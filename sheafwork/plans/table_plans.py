@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sheafwork.operators import recognise
 from sheafwork.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,6 +147,22 @@ _add(
 c as (select page_row_id, x + w * (greatest(10, a) - a) / n as x1, x + w * (least(60, a + n) - a) / n as x2, y, h from o where a < 60 and a + n > 10)
 select page_row_id, round(min(x1), 4) as x, round(min(y), 4) as y, round(greatest(2.0, max(x2) - min(x1)), 4) as w, round(greatest(2.0, max(y + h) - min(y)), 4) as h from c group by 1""",
 )
+# char_to_bbox for every recognised span of the whole page text; char_to_bbox itself keeps to characters 10 to 60
+_ORDER = "coalesce(y, -1.0), coalesce(x, -1.0), region_uid"
+_OFFSETS = f"select page_row_id, x, y, w, h, length(trim(text)) as n, coalesce(sum(length(trim(text)) + 1) over (partition by page_row_id order by {_ORDER} rows between unbounded preceding and 1 preceding), 0) as a from {_R} r where length(trim(text)) > 0"
+_BOXES = """c as (select page_row_id, recogniser, start_pos, end_pos, x + w * (greatest(start_pos, a) - a) / n as x1, x + w * (least(end_pos, a + n) - a) / n as x2, y, h from s join o using (page_row_id) where a < end_pos and a + n > start_pos)
+select page_row_id, recogniser, start_pos, end_pos, round(min(x1), 4) as x, round(min(y), 4) as y, round(greatest(2.0, max(x2) - min(x1)), 4) as w, round(greatest(2.0, max(y + h) - min(y)), 4) as h from c group by 1, 2, 3, 4"""
+
+
+def char_to_bbox_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The box of every recognised span of every page text."""
+    regions = table(spark, sf_dir, "regions")
+    texts = spark.sql(f"select page_row_id, array_join(transform(array_sort(collect_list(struct(coalesce(y, -1.0D) as b, coalesce(x, -1.0D) as a, region_uid, trim(text) as t))), s -> s.t), '\\n') as text from {_R} r where length(trim(text)) > 0 group by 1", regions=regions)
+    return spark.sql(f"with o as ({_OFFSETS}), s as (select * from {{spans}}), {_BOXES}", regions=regions, spans=recognise.spans(texts, "page_row_id"))
+
+
+QUERIES["char_to_bbox_spans"] = char_to_bbox_spans
+ORACLES["char_to_bbox_spans"] = f"with o as ({_OFFSETS}), texts as (select page_row_id, string_agg(trim(text), chr(10) order by {_ORDER}) as text from {_R} r where length(trim(text)) > 0 group by 1), s as (".replace("{regions}", "regions") + " union all ".join(f"select '{r.name}' as recogniser, page_row_id, start_pos, end_pos from ({recognise.spans_sql('texts', 'page_row_id', r)})" for r in recognise.RECOGNISERS) + f"), {_BOXES}"
 _add(
     "table_cells",
     "regions",
