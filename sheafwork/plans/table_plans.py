@@ -206,6 +206,18 @@ a as (select * from k where place = 1), b as (select * from k where place = 2)
 select coalesce(a.document_id, b.document_id) as document_id, coalesce(a.solution, b.solution) as solution, round(b.c - a.c, 6) as d_confidence, cast(b.t - a.t as double) as d_tables from a full outer join b on a.document_id = b.document_id and a.solution = b.solution""",
     doc=(doc("document_id"), doc("document_id")),
 )
+# every run of a document against the one before it in time; run_diff itself keeps to two runs of each solution
+_add(
+    "run_diff_all",
+    "page_results",
+    """with p as (select distinct page_row_id, {doc} as document_id, solution, run_id, case when confidence > 1 then confidence / 100 else confidence end as c, n_tables, created_at from {page_results} where run_id is not null),
+m as (select document_id, run_id, solution, avg(c) as c, sum(n_tables) as t from p group by 1, 2, 3), r as (select document_id, run_id, min(created_at) as began from p group by 1, 2),
+k as (select document_id, run_id, lag(run_id) over (partition by document_id order by began nulls last, run_id) as before from r),
+a as (select k.document_id, k.before as run_a, k.run_id as run_b, m.solution, m.c, m.t from k join m on m.document_id = k.document_id and m.run_id = k.before),
+b as (select k.document_id, k.before as run_a, k.run_id as run_b, m.solution, m.c, m.t from k join m on m.document_id = k.document_id and m.run_id = k.run_id where k.before is not null)
+select coalesce(a.document_id, b.document_id) as document_id, coalesce(a.run_a, b.run_a) as run_a, coalesce(a.run_b, b.run_b) as run_b, coalesce(a.solution, b.solution) as solution, case when b.run_b is null then 'a' when a.run_a is null then 'b' else 'both' end as side, round(b.c - a.c, 6) as d_confidence, cast(b.t - a.t as double) as d_tables from a full outer join b on a.document_id = b.document_id and a.run_a = b.run_a and a.run_b = b.run_b and a.solution = b.solution""",
+    doc=(doc("document_id"), doc("document_id")),
+)
 _add("runs_by_document", "runs", "select {doc} as document_id, count(distinct run_id) as n_runs, cast(count(case when status = 'running' then 1 end) as bigint) as running from {runs} group by 1", doc=(doc("document_id"), doc("document_id")))
 _add("solutions_of_runs", "runs", "select s as solution, count(distinct run_id) as n from (select run_id, {x}(solution_names) as s from {runs}) t group by 1", x=("explode", "unnest"))
 # reviews over orders, audit over events, words and cells over line items
