@@ -6,13 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Digits of other scripts are digits: Arabic, Persian, Devanagari, Thai, full width.
+_OTHER = "".join(chr(first + d) for d in range(10) for first in (0x660, 0x6F0, 0x966, 0xE50, 0xFF10))
+_PLAIN = "".join(str(d) * 5 for d in range(10))
+
+
 def _bare(v: Column) -> Column:
-    return F.upper(F.regexp_replace(v, r"\s", ""))
+    return F.upper(F.translate(F.regexp_replace(v, r"(?U)\s", ""), _OTHER, _PLAIN))
+
+
+def _digits(v: Column) -> Column:
+    return F.translate(F.regexp_replace(v, r"(?U)[\s-]", ""), _OTHER, _PLAIN)
 
 
 def luhn(v: Column) -> Column:
     """13 to 19 digits with a right Luhn check digit, blanks and hyphens aside."""
-    d = F.regexp_replace(v, r"[\s-]", "")
+    d = _digits(v)
     ok = F.call_function("luhn_check", d)
     return d.rlike(r"^\d{13,19}$") & ok
 
@@ -38,7 +47,7 @@ def nino(v: Column) -> Column:
 
 def nhs(v: Column) -> Column:
     """Ten digits; weights 10 to 2 over the first nine, 11 less the rest of division by 11 is the tenth (11 is 0, 10 never)."""
-    d = F.regexp_replace(v, r"[\s-]", "")
+    d = _digits(v)
     total = F.aggregate(F.sequence(F.lit(1), F.lit(9)), F.lit(0), lambda n, i: n + F.substring(d, i, F.lit(1)).try_cast("int") * (11 - i))
     return d.rlike(r"^\d{10}$") & ((11 - total % 11) % 11 == F.substring(d, 10, 1).try_cast("int")) & (11 - total % 11 != 10)
 
@@ -49,8 +58,9 @@ def lat_long(v: Column) -> Column:
     return a.between(-90, 90) & b.between(-180, 180)
 
 
-_DIGITS = "regexp_replace({v}, '[\\s-]', '', 'g')"
-_BARE = "upper(regexp_replace({v}, '\\s', '', 'g'))"
+_FOLD = f"'{_OTHER}', '{_PLAIN}'"
+_DIGITS = "translate(regexp_replace({v}, '[\\s\\pZ-]', '', 'g'), " + _FOLD + ")"
+_BARE = "upper(translate(regexp_replace({v}, '[\\s\\pZ]', '', 'g'), " + _FOLD + "))"
 _LETTERS = "string_split(substring(" + _BARE + ", 5, 34) || substring(" + _BARE + ", 1, 4), '')"
 _IBAN = "(regexp_full_match(" + _BARE + ", '[A-Z]{{2}}\\d{{2}}[A-Z0-9]{{11,30}}') and list_reduce(list_transform(list_prepend('0', " + _LETTERS + "), lambda c: (case when c between '0' and '9' then ascii(c) - 48 else ascii(c) - 55 end)::bigint), lambda n, x: (case when x < 10 then n * 10 + x else n * 100 + x end) % 97) = 1)"
 SQL = {
