@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,15 +51,47 @@ def merge_list(spans: list[tuple]) -> list[tuple]:
 
 
 def merged(spans: DataFrame, key: str) -> DataFrame:
-    """``spans`` (key, start_pos, end_pos, entity_type, score) merged per text; rows with nulls in them are left out."""
+    """``spans`` (key, start_pos, end_pos, entity_type, score[, place]) merged per text; rows with nulls are left out.
+
+    Equal (start, end, score) are taken in the order of ``place``. The spans of a text go to Python as arrays, many
+    texts in a batch.
+    """
+    order = "place" if "place" in spans.columns else "entity_type"
+    rows = spans.select(key, "start_pos", "end_pos", "entity_type", "score", F.col(order).alias("_o")).dropna()
+    s = F.array_sort(F.collect_list(F.struct("_o", "start_pos", "end_pos", "entity_type", "score"))).alias("s")
+    lists = rows.groupBy(key).agg(s).select(key, *(F.col("s")[c].alias(c) for c in ("start_pos", "end_pos", "entity_type", "score")))
     schema = f"{key} {spans.schema[key].dataType.simpleString()}, start_pos int, end_pos int, entity_type string, score double"
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        kept = merge_list(list(zip(group["start_pos"], group["end_pos"], group["entity_type"], group["score"])))
-        return pd.DataFrame([(group[key].iloc[0], *s) for s in kept], columns=[key, "start_pos", "end_pos", "entity_type", "score"])
-
-    rows = spans.select(key, "start_pos", "end_pos", "entity_type", "score").dropna()
-    return rows.groupBy(key).applyInPandas(run, schema)
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, *x) for k, *cols in zip(b[key], b["start_pos"], b["end_pos"], b["entity_type"], b["score"]) for x in merge_list(list(zip(*cols)))]
+            yield pd.DataFrame(rows, columns=[key, "start_pos", "end_pos", "entity_type", "score"])
+
+    return lists.mapInPandas(run, schema)
+
+
+#: SQL for the same fold over one text's spans; ``found`` is a query giving the key, place, start_pos, end_pos, entity_type, score.
+def merged_sql(found: str, key: str) -> str:
+    structured, always = _quoted(STRUCTURED), _quoted(KEPT_ALWAYS)
+    k_in, x_in = "(x[1].s <= k.s and x[1].e >= k.e)", "(k.s <= x[1].s and k.e >= x[1].e)"
+    exempt = f"(({k_in} or {x_in}) and not ({k_in} and {x_in}) and ((k.t = 'UK_ADDRESS' and x[1].t = 'UK_POSTCODE') or (k.t = 'UK_POSTCODE' and x[1].t = 'UK_ADDRESS')))"
+    meets = f"lambda k: k.e > x[1].s and x[1].e > k.s and not {exempt}"
+    at = f"list_position(list_transform(acc, {meets}), true)"
+    old = f"acc[{at}]"
+    o_in, n_in = f"({old}.s <= x[1].s and x[1].e <= {old}.e)", f"(x[1].s <= {old}.s and {old}.e <= x[1].e)"
+    so, sn = f"({old}.t in {structured})", f"(x[1].t in {structured})"
+    wins = f"""case when {o_in} and {n_in} then x[1].c > {old}.c
+ when {o_in} then case when {so} and {sn} then x[1].c > {old}.c else {sn} end
+ when {n_in} then case when {so} and {sn} then not {old}.c > x[1].c else not {so} end
+ when {so} <> {sn} then {sn} else x[1].c > {old}.c end"""
+    step = f"""case when x[1].t in {always} or coalesce({at}, 0) = 0 then list_concat(acc, x)
+ when {wins} then list_concat(acc[1:{at} - 1], x, acc[{at} + 1:]) else acc end"""
+    return f"""select {key}, u.s as start_pos, u.e as end_pos, u.t as entity_type, u.c as score from (
+ select {key}, unnest(list_reduce(list([{{'s': start_pos, 'e': end_pos, 't': entity_type, 'c': score}}] order by start_pos, end_pos desc, score desc, place), lambda acc, x: {step})) as u from ({found}) group by {key})"""
+
+
+def _quoted(names: Iterable[str]) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in sorted(names)) + ")"
 
 
 def resolve(spans: Column) -> Column:

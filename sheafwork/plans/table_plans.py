@@ -36,38 +36,7 @@ LABEL = ("regexp_replace(regexp_replace(upper(trim(entity_type)), '[ \\\\-]+', '
 COUNT = ("count(*)", "count(*)::bigint")
 
 # masking (one value per mode), categories and risk
-_add(
-    "mask_values",
-    "detections",
-    """select detection_id, concat('<', {label}, '>') as m_replace,
-case when length(entity_text) <= 4 then repeat('*', length(entity_text))
- when {at} > 0 then concat(left(entity_text, 1), repeat('*', greatest(1, {at} - 2)), '@', substring(entity_text, {at} + 1))
- else concat(left(entity_text, greatest(2, {quarter})), repeat('*', length(entity_text) - 2 * greatest(2, {quarter})), right(entity_text, greatest(2, {quarter}))) end as m_partial,
-concat('HASH_', left({sha}, 8)) as m_hash, '' as m_remove,
-case when {label} in ('UK_BANK_ACCOUNT_NUMBER', 'CREDIT_CARD_NUMBER', 'IBAN', 'UK_IBAN') then concat(repeat('*', greatest(0, length(entity_text) - 4)), right(entity_text, 4))
- when {label} in ('PERSON', 'LOCATION') then concat('[', {label}, ']') else repeat('*', length(entity_text)) end as m_legacy
-from {detections} where entity_text is not null and entity_type is not null""",
-    label=LABEL, at=("instr(entity_text, '@')", "instr(entity_text, '@')"), quarter=("cast(length(entity_text) div 4 as int)", "(length(entity_text) // 4)::int"), sha=("sha2(entity_text, 256)", "sha256(entity_text)"),
-)
-_add(
-    "mask_tokenise",
-    "detections",
-    """with d as (select distinct {label} as entity_type, entity_text from {detections} where entity_text is not null and entity_type is not null)
-select entity_type, entity_text, concat('TOKEN_', entity_type, '_', lpad(cast(row_number() over (partition by entity_type order by entity_text) as string), 6, '0')) as token from d""",
-    label=LABEL,
-)
 _add("obfuscate", "regions", """select distinct region_uid, translate(text, 'abcdefghijklmnopqrstuvwxyz0123456789', 'qwertyuiopasdfghjklzxcvbnm7394102856') as cipher from {regions} where text is not null""")
-_add(
-    "mock_values",
-    "detections",
-    """with d as (select distinct {label} as entity_type, entity_text from {detections} where entity_text is not null and entity_type is not null)
-select entity_type, entity_text, {mock} as mock from d""",
-    label=LABEL,
-    mock=(
-        "array_join(transform(filter(split(entity_text, ''), c -> c <> ''), (c, i) -> case when c rlike '^[A-Z]$' then char(65 + pmod(cast(conv(substring(sha2(concat('run', entity_type, entity_text, cast(i as string)), 256), 1, 6), 16, 10) as bigint), 26)) when c rlike '^[a-z]$' then char(97 + pmod(cast(conv(substring(sha2(concat('run', entity_type, entity_text, cast(i as string)), 256), 1, 6), 16, 10) as bigint), 26)) when c rlike '^[0-9]$' then char(48 + pmod(cast(conv(substring(sha2(concat('run', entity_type, entity_text, cast(i as string)), 256), 1, 6), 16, 10) as bigint), 10)) else c end), '')",
-        "array_to_string(list_transform(string_split(entity_text, ''), lambda c, i: case when regexp_full_match(c, '[A-Z]') then chr((65 + ('0x' || substring(sha256(concat('run', entity_type, entity_text, (i - 1)::varchar)), 1, 6))::bigint % 26)::int) when regexp_full_match(c, '[a-z]') then chr((97 + ('0x' || substring(sha256(concat('run', entity_type, entity_text, (i - 1)::varchar)), 1, 6))::bigint % 26)::int) when regexp_full_match(c, '[0-9]') then chr((48 + ('0x' || substring(sha256(concat('run', entity_type, entity_text, (i - 1)::varchar)), 1, 6))::bigint % 10)::int) else c end), '')",
-    ),
-)
 # spans: composite risk, occurrences, cells
 _add(
     "composite_risk",
@@ -77,7 +46,6 @@ f as (select *, max(case when entity_type = 'UK_SORT_CODE' then 1 else 0 end) ov
 select detection_id, entity_type, case when has_sort = 1 and has_account = 1 and entity_type in ('UK_SORT_CODE', 'UK_BANK_ACCOUNT_NUMBER') then 'sort_code+account' when has_person = 1 and has_postcode = 1 and entity_type in ('PERSON', 'UK_POSTCODE') then 'person+postcode' end as composite_rule from f""",
     label=LABEL, doc=(doc("document_id"), doc("document_id")),
 )
-_add("occurrence_count", "detections", """select entity_text, {label} as entity_type, {count} as doc_count, count(distinct concat({doc}, '#', cast(page_index as string))) as page_count from {detections} where entity_text is not null and entity_type is not null group by 1, 2""", label=LABEL, doc=(doc("document_id"), doc("document_id")), count=COUNT)
 _add(
     "cell_summary",
     "detections",
@@ -91,12 +59,6 @@ _add(
     """select {label} as entity_type, lower(entity_text) as value, min(entity_text) as first_text, {count} as occurrences from {detections} where entity_text is not null and entity_type is not null group by 1, 2""",
     label=LABEL, count=COUNT,
 )
-_add(
-    "detector_ranking",
-    "detections",
-    """with a as (select lower(trim(detector)) as detector, avg(score) as s, {count} as n from {detections} group by 1) select detector, n, round(s, 6) as mean_score, row_number() over (order by round(s, 6) desc nulls last, n desc, detector) as place from a""",
-    count=COUNT,
-)
 _add(
     "benchmark_matrix",
     "page_results detections",
@@ -104,21 +66,6 @@ _add(
 select o.solution, d.detector, coalesce(c.n, 0) as n, case when c.n is null then 'pending' else 'ok' end as status from o join d on true left join c on c.detector = d.detector""",
     count=COUNT,
 )
-# evaluation of e-mail spans against the gold items
-_EVAL = (
-    """with g as (select item_id, e.start_pos, e.end_pos from (select item_id, explode(entities) as e from {gold_items}) where e.entity_type = 'EMAIL_ADDRESS'),""",
-    """with g as (select item_id, e.start_pos, e.end_pos from (select item_id, unnest(entities) as e from {gold_items}) where e.entity_type = 'EMAIL_ADDRESS'),""",
-)
-_HIT = (
-    """p as (select item_id, cast(length(substring_index(text, regexp_extract(text, '[a-z0-9._+-]+@[a-z0-9.-]+[.][a-z]+', 0), 1)) as int) as start_pos, length(regexp_extract(text, '[a-z0-9._+-]+@[a-z0-9.-]+[.][a-z]+', 0)) as n from {gold_items} where text rlike '[a-z0-9._+-]+@[a-z0-9.-]+[.][a-z]+')""",
-    """p as (select item_id, (instr(text, regexp_extract(text, '[a-z0-9._+-]+@[a-z0-9.-]+[.][a-z]+')) - 1)::int as start_pos, length(regexp_extract(text, '[a-z0-9._+-]+@[a-z0-9.-]+[.][a-z]+')) as n from {gold_items} where regexp_matches(text, '[a-z0-9._+-]+@[a-z0-9.-]+[.][a-z]+'))""",
-)
-_add(
-    "eval_exact",
-    "gold_items",
-    "{gold} {pred}, m as (select count(*) as tp from p join g on p.item_id = g.item_id and p.start_pos = g.start_pos and p.start_pos + p.n = g.end_pos), a as (select count(*) as n from p), b as (select count(*) as n from g) select {big}(m.tp) as tp, {big}(a.n - m.tp) as fp, {big}(b.n - m.tp) as fn, round(m.tp * 1.0D / a.n, 4) as prec, round(m.tp * 1.0D / b.n, 4) as recall from m, a, b".replace("1.0D", "{one}"),
-    gold=_EVAL, pred=_HIT, big=("bigint", ""), one=("1.0D", "1.0::double"),
-)
 _add("gold_type_counts", "gold_items", "select coalesce(category, 'none') as category, e.entity_type as entity_type, {count} as n from (select category, {x}(entities) as e from {gold_items}) t group by 1, 2", x=("explode", "unnest"), count=COUNT)
 # pages and regions
 _R = "(select distinct region_uid, page_row_id, lower(trim(region_type)) as kind, bbox.x as x, bbox.y as y, bbox.w as w, bbox.h as h, text, confidence from {regions})"
