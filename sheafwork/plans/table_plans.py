@@ -38,14 +38,6 @@ COUNT = ("count(*)", "count(*)::bigint")
 # masking (one value per mode), categories and risk
 _add("obfuscate", "regions", """select distinct region_uid, translate(text, 'abcdefghijklmnopqrstuvwxyz0123456789', 'qwertyuiopasdfghjklzxcvbnm7394102856') as cipher from {regions} where text is not null""")
 # spans: composite risk, occurrences, cells
-_add(
-    "composite_risk",
-    "detections",
-    """with d as (select detection_id, {label} as entity_type, pii_run_id, {doc} as document_id, page_index from {detections} where entity_type is not null),
-f as (select *, max(case when entity_type = 'UK_SORT_CODE' then 1 else 0 end) over w as has_sort, max(case when entity_type = 'UK_BANK_ACCOUNT_NUMBER' then 1 else 0 end) over w as has_account, max(case when entity_type = 'PERSON' then 1 else 0 end) over w as has_person, max(case when entity_type = 'UK_POSTCODE' then 1 else 0 end) over w as has_postcode from d window w as (partition by pii_run_id, document_id, page_index))
-select detection_id, entity_type, case when has_sort = 1 and has_account = 1 and entity_type in ('UK_SORT_CODE', 'UK_BANK_ACCOUNT_NUMBER') then 'sort_code+account' when has_person = 1 and has_postcode = 1 and entity_type in ('PERSON', 'UK_POSTCODE') then 'person+postcode' end as composite_rule from f""",
-    label=LABEL, doc=(doc("document_id"), doc("document_id")),
-)
 _add(
     "cell_summary",
     "detections",
@@ -53,29 +45,9 @@ _add(
     label=LABEL, doc=(doc("document_id"), doc("document_id")), count=COUNT,
 )
 _add("risk_by_detector", "detections", """select lower(trim(detector)) as detector, coalesce(risk_level, 'medium') as risk_level, {count} as n from {detections} group by 1, 2""", count=COUNT)
-_add(
-    "mapping_dedup",
-    "detections",
-    """select {label} as entity_type, lower(entity_text) as value, min(entity_text) as first_text, {count} as occurrences from {detections} where entity_text is not null and entity_type is not null group by 1, 2""",
-    label=LABEL, count=COUNT,
-)
-_add(
-    "benchmark_matrix",
-    "page_results detections",
-    """with o as (select distinct solution from {page_results}), d as (select distinct lower(trim(detector)) as detector from {detections}), c as (select lower(trim(detector)) as detector, {count} as n from {detections} group by 1)
-select o.solution, d.detector, coalesce(c.n, 0) as n, case when c.n is null then 'pending' else 'ok' end as status from o join d on true left join c on c.detector = d.detector""",
-    count=COUNT,
-)
 _add("gold_type_counts", "gold_items", "select coalesce(category, 'none') as category, e.entity_type as entity_type, {count} as n from (select category, {x}(entities) as e from {gold_items}) t group by 1, 2", x=("explode", "unnest"), count=COUNT)
 # pages and regions
 _R = "(select distinct region_uid, page_row_id, lower(trim(region_type)) as kind, bbox.x as x, bbox.y as y, bbox.w as w, bbox.h as h, text, confidence from {regions})"
-_add("page_confidence", "regions", f"select page_row_id, round(sum(confidence * greatest(1.0, w * h)) / sum(case when confidence is not null then greatest(1.0, w * h) end), 6) as confidence, {{count}} as n_regions from {_R} r group by 1", count=COUNT)
-_add(
-    "doc_format",
-    "regions",
-    f"""with a as (select page_row_id, sum(w * h) as total, sum(case when kind like 'table%' then w * h else 0 end) as tables, sum(case when kind in ('image', 'logo', 'seal', 'handwriting_signature') then w * h else 0 end) as figures, sum(case when kind in ('normal_text', 'kv_pair') then w * h else 0 end) as texts from {_R} r group by 1)
-select page_row_id, case when total = 0 then 'unknown' when tables / total >= 0.35 then 'tabular-heavy' when figures / total >= 0.35 then 'image-heavy' when texts / total >= 0.70 then 'narrative' else 'mixed' end as doc_format from a""",
-)
 _add(
     "region_offsets",
     "regions",
@@ -110,13 +82,6 @@ def char_to_bbox_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["char_to_bbox_spans"] = char_to_bbox_spans
 ORACLES["char_to_bbox_spans"] = f"with o as ({_OFFSETS}), texts as (select page_row_id, string_agg(trim(text), chr(10) order by {_ORDER}) as text from {_R} r where length(trim(text)) > 0 group by 1), s as (".replace("{regions}", "regions") + " union all ".join(f"select '{r.name}' as recogniser, page_row_id, start_pos, end_pos from ({recognise.spans_sql('texts', 'page_row_id', r)})" for r in recognise.RECOGNISERS) + f"), {_BOXES}"
-_add(
-    "table_cells",
-    "regions",
-    f"""with r as {_R}, t as (select * from r where kind = 'table'), c as (select * from r where kind in ('table_cell', 'table_header'))
-select t.region_uid as table_uid, {{count}} as n_cells, count(case when length(trim(c.text)) > 0 then 1 end) as n_filled, round(1 - sum(case when length(trim(c.text)) > 0 then 0 else 1 end) * {{one}} / count(*), 6) as fill from t join c on c.page_row_id = t.page_row_id and c.x + c.w / 2 between t.x and t.x + t.w and c.y + c.h / 2 between t.y and t.y + t.h group by 1""",
-    count=COUNT, one=("1.0D", "1.0::double"),
-)
 _add(
     "iou_join",
     "regions",
@@ -126,19 +91,6 @@ select a_uid, b_uid, round(ix * iy / (ta + ca - ix * iy), 3) as iou from o where
 _add("region_type_counts", "regions", f"select coalesce(kind, 'unknown') as kind, {{count}} as n, count(case when length(text) > 0 then 1 end) as n_text from {_R} r group by 1", count=COUNT)
 _add("candidate_regions", "regions", f"select region_uid from {_R} r where kind in ('normal_text', 'table_cell', 'table_header', 'table_row', 'kv_pair', 'unknown') and length(trim(text)) > 0 and w > 0 and h > 0")
 _add("report_regions", "regions", f"select page_row_id, region_uid, place, t from (select page_row_id, region_uid, left(text, 140) as t, row_number() over (partition by page_row_id order by y, x, region_uid) as place from {_R} r) q where place <= 60")
-_add(
-    "pdf_kind",
-    "page_results",
-    """with p as (select distinct page_row_id, {doc} as document_id, page_index, full_text from {page_results}), g as (select document_id, count(*) as n, count(case when length(trim(full_text)) >= 32 then 1 end) as v from p group by 1) select document_id, cast(n as bigint) as n_pages, case when v = n then 'vector' when v = 0 then 'scanned' else 'mixed' end as pdf_kind from g""",
-    doc=(doc("document_id"), doc("document_id")),
-)
-_add("solution_confidence", "page_results", """with p as (select distinct page_row_id, solution, case when confidence > 1 then confidence / 100 else confidence end as c, n_tables from {page_results}) select solution, round(avg(coalesce(c, 0)), 6) as confidence, {count} as n_pages, cast(sum(n_tables) as bigint) as n_tables from p group by 1""", count=COUNT)
-_add(
-    "missing_pages",
-    "page_results runs",
-    """with r as (select run_id, max(n_pages) as n from {runs} group by 1), p as (select run_id, count(distinct page_index) as done from {page_results} group by 1) select r.run_id, cast(r.n as bigint) as n_pages, cast(coalesce(p.done, 0) as bigint) as done, case when coalesce(p.done, 0) < r.n then 'partial' else 'ok' end as status from r left join p on p.run_id = r.run_id""",
-)
-_add("supports_kind", "page_results", """select solution, pdf_kind, case when solution like 'native%' or solution like 'camelot%' then case when pdf_kind in ('vector', 'mixed') then 'run' else 'skipped' end else 'run' end as decision, {count} as n from (select distinct page_row_id, solution, pdf_kind from {page_results}) p group by 1, 2, 3""", count=COUNT)
 # runs
 _S = "(select *, row_number() over (partition by run_id order by updated_at desc nulls last, ingested_at desc, snapshot_id desc) as place from {runs})"
 _add("run_state", "runs", f"select run_id, {{doc}} as document_id, status, n_pages from {_S} s where place = 1", doc=(doc("document_id"), doc("document_id")))
@@ -172,18 +124,5 @@ _add("review_order", "orders", "select o_orderkey, o_custkey, row_number() over
 _add("review_stats", "orders", "select o_orderpriority as category, o_orderstatus as solution, {count} as accepts, count(distinct o_custkey) as pages from {orders} group by 1, 2", count=COUNT)
 _add("best_available", "orders", "select o_custkey, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_totalprice desc, o_orderkey) as place from {orders}) q where place = 1")
 _add("stage_status", "events", "select user_id, min(case event_type when 'error' then 0 when 'purchase' then 1 else 2 end) as worst, {count} as invocations, max({k}) as top from {events} group by 1", count=COUNT, k=("cast(get_json_object(props, '$.k') as int)", "json_extract_string(props, '$.k')::int"))
-_add("latency_nearest_rank", "events", "select event_type, round({p50}, 2) as p50, round({p95}, 2) as p95, round({p99}, 2) as p99, round(avg(value), 2) as mean_ms from {events} where value is not null group by 1", **{f"p{p}": (f"element_at(sort_array(collect_list(value)), cast(rint({p / 100}D * (count(*) - 1)) as int) + 1)", f"list_sort(list(value))[round_even({p / 100}::double * (count(*) - 1), 0)::int + 1]") for p in (50, 95, 99)})
 _add("audit_timeline", "events", "select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) as step, round(sum(value) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row), 4) as total from {events}")
-_add("words_to_lines", "lineitem", "select l_orderkey, {join} as words, min(l_partkey) as x0, max(l_partkey) as x1, round(sum(l_quantity * length(l_returnflag)) / sum(length(l_returnflag)), 6) as confidence from {lineitem} group by 1", join=("array_join(transform(array_sort(collect_list(struct(l_linenumber, l_partkey, l_returnflag))), s -> s.l_returnflag), ' ')", "string_agg(l_returnflag, ' ' order by l_linenumber, l_partkey, l_returnflag)"))
-_add(
-    "densify_grid",
-    "lineitem",
-    """with c as (select l_orderkey as t, l_linenumber as r, l_suppkey % 4 as k, min(l_returnflag) as v from {lineitem} group by 1, 2, 3), g as (select t, max(r) as n_rows from c group by 1),
-d as (select t, {rows} as r from g), e as (select d.t, d.r, q.k from d join (select {cols} as k) q on true)
-select e.t, cast(e.r as bigint) as r, e.k, coalesce(c.v, '') as v from e left join c on c.t = e.t and c.r = e.r and c.k = e.k""",
-    rows=("explode(sequence(1, n_rows))", "unnest(range(1, n_rows + 1))"), cols=("explode(array(0L, 1L, 2L, 3L))", "unnest([0::bigint, 1, 2, 3])"),
-)
-_add("llm_cost", "events", "select event_id, case when event_type like 'p%' then round(value * 3 / 1000000, 9) when event_type like 'c%' then round(value * 15 / 1000000, 9) end as cost from {events}")
-_add("suggest_type", "regions", f"""select region_uid, case when text is null or trim(text) = '' then 'OTHER' when {{m}}(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]+') then 'EMAIL_ADDRESS' when {{m}}(text, 'https?://') then 'URL' when {{m}}(text, '[A-Z][A-Z]?[0-9][A-Z0-9]? ?[0-9][A-Z][A-Z]') then 'UK_POSTCODE' when {{m}}(text, '[A-Za-z]') then 'PERSON' else 'OTHER' end as suggested from {_R} r""", m=("regexp_like", "regexp_matches"))
-_add("scale_confidence", "page_results", "select page_row_id, least(1.0, greatest(0.0, coalesce(case when confidence > 1 then confidence / 100 else confidence end, 0.0))) as c from (select distinct page_row_id, confidence from {page_results}) p")
 _add("line_index", "page_results", "select page_row_id, {no} as line_no, line from (select distinct page_row_id, full_text from {page_results} where full_text is not null) p {x}", no=("line_no", "cast(line_no - 1 as int)"), x=("lateral view posexplode(split(full_text, '\\n')) l as line_no, line", ", unnest(string_split(full_text, chr(10))) with ordinality as l(line, line_no)"))
