@@ -36,7 +36,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.linked(table(spark, sf_dir, "regions"), table(spark, sf_dir, "rescan_regions"))
+    return linkage.linked(table(spark, sf_dir, "regions"), table(spark, sf_dir, "rescan_regions"), table(spark, sf_dir, "page_results"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
