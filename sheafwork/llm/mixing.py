@@ -21,6 +21,8 @@ from sheafwork.session import cut, spread
 
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 BUCKETS = 4096
+#: Parts that the mix is dealt to, each with its own whole quotas.
+SHARDS = 64
 #: More targets than these are no list of sources.
 MAX_SOURCES = 10_000
 
@@ -146,29 +148,64 @@ def _setup(documents: DataFrame, targets: DataFrame, block: int | None, total: i
     return counts, wanted, totals, quota, blocks, block
 
 
-def mixed(documents: DataFrame, targets: DataFrame, seed: int = 17, block: int | None = None, total: int | None = None, ranks: str = RANKS) -> DataFrame:
-    """(doc_id, source, n_tokens, repeats): the documents drawn and how often each comes.
+def shard_quotas(quota: dict[str, int], shards: int) -> list[dict[str, int]]:
+    """Whole quotas per shard: each shard is apportioned from what is left, so that they add up to ``quota``."""
+    left, out = dict(quota), []
+    total = sum(quota.values())
+    for i in range(shards):
+        size = total * (i + 1) // shards - total * i // shards
+        got = apportion_fast({s: float(q) for s, q in quota.items()}, left, size)
+        short = size - sum(got.values())
+        for s in sorted(left):
+            more = min(short, left[s] - got[s])
+            got[s] += more
+            short -= more
+        left = {s: left[s] - got[s] for s in left}
+        out.append(got)
+    return out
+
 
-    No document comes more than its source's ``max_repeats`` times. Documents of other sources, of none, and without
-    tokens aren't drawn; repeated rows of a document count once; an empty table on either side gives no rows.
+def _drawn(counts: DataFrame, quota: dict[str, int], blocks: dict[str, int], block: int, seed: int, shards: int) -> DataFrame:
+    """(doc_id, source, n_tokens, shard, copy): one row per draw.
+
+    The draws of a source are its blocks in seeded order, again and again until its quota is used up; the shards take
+    them in turn, each as many blocks of the source as its own quota says.
     """
-    counts, wanted, totals, quota, blocks, block = _setup(documents, targets, block, total, ranks)
     if not any(quota.values()):
-        return counts.select("doc_id", "source", "n_tokens", F.lit(0).alias("repeats")).limit(0)
+        return counts.select("doc_id", "source", "n_tokens", F.lit(0).alias("shard"), F.lit(0).alias("copy")).limit(0)
     usable = counts.where(F.col("source").isin([s for s, q in quota.items() if q]) & (F.col("n_tokens") > 0))
-    pick = lambda values: F.coalesce(*(F.when(F.col("source") == s, F.lit(v)) for s, v in values.items()))
-    number = F.floor(F.col("at") / block)
+    pick = lambda values: F.coalesce(*(F.when(F.col("source") == s, v) for s, v in values.items()))
+    lit = lambda values: pick({s: F.lit(v) for s, v in values.items()})
     full = {s: q // blocks[s] for s, q in quota.items()}
     rest = {s: q % blocks[s] for s, q in quota.items()}
-    out = _ordered(usable, seed).withColumn("repeats", (pick(full) + F.when(number < pick(rest), 1).otherwise(0)).cast("int"))
-    return out.where("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
+    ends: dict[str, list[int]] = {s: [] for s in quota}
+    for got in shard_quotas(quota, shards):
+        for s in quota:
+            ends[s].append((ends[s][-1] if ends[s] else 0) + got.get(s, 0))
+    rows = _ordered(usable, seed).withColumn("_number", F.floor(F.col("at") / block))
+    rows = rows.withColumn("_n", (lit(full) + F.when(F.col("_number") < lit(rest), 1).otherwise(0)).cast("int")).where("_n > 0")
+    rows = rows.select("doc_id", "source", "n_tokens", "_number", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
+    draw = F.col("copy") * lit(blocks) + F.col("_number")
+    ended = pick({s: F.array(*(F.lit(x) for x in e)) for s, e in ends.items()})
+    return rows.withColumn("_d", draw).select("doc_id", "source", "n_tokens", F.least(F.size(F.filter(ended, lambda x: x <= F.col("_d"))), F.lit(shards - 1)).alias("shard"), "copy")
+
+
+def mixed(documents: DataFrame, targets: DataFrame, seed: int = 17, block: int | None = None, total: int | None = None, ranks: str = RANKS, shards: int = SHARDS) -> DataFrame:
+    """(doc_id, source, n_tokens, shard, copy): the documents drawn, one row per copy, and the shard that each goes to.
+
+    No document comes more than its source's ``max_repeats`` times. Each shard holds its whole quota of every source, so
+    any shard alone has the mix too. Documents of other sources, of none, and without tokens aren't drawn; repeated rows
+    of a document count once; an empty table on either side gives no rows.
+    """
+    counts, _, _, quota, blocks, block = _setup(documents, targets, block, total, ranks)
+    return _drawn(counts, quota, blocks, block, seed, shards)
 
 
-def shares(documents: DataFrame, targets: DataFrame, seed: int = 17, block: int | None = None, total: int | None = None, ranks: str = RANKS) -> DataFrame:
+def shares(documents: DataFrame, targets: DataFrame, seed: int = 17, block: int | None = None, total: int | None = None, ranks: str = RANKS, shards: int = SHARDS) -> DataFrame:
     """(source, target_share, actual_share, tokens_available, tokens_drawn, max_repeats, most_repeats, blocks): one row per
     target; sources without documents have nothing drawn. Shares are of all tokens drawn, null if none are."""
-    drawn = mixed(documents, targets, seed, block, total, ranks).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens_drawn"), F.max("repeats").alias("most_repeats"))
     counts, wanted, totals, quota, blocks, block = _setup(documents, targets, block, total, ranks)
+    drawn = _drawn(counts, quota, blocks, block, seed, shards).groupBy("source").agg(F.sum("n_tokens").alias("tokens_drawn"), (F.max("copy") + 1).alias("most_repeats"))
     spark = documents.sparkSession
     base = spark.createDataFrame([(s, w, int(totals.get(s, 0)), m, int(quota.get(s, 0))) for s, (w, m) in sorted(wanted.items())], "source string, target_share double, tokens_available long, max_repeats int, blocks long")
     all_ = W.partitionBy()
@@ -176,24 +213,7 @@ def shares(documents: DataFrame, targets: DataFrame, seed: int = 17, block: int
     return joined.select("source", "target_share", F.try_divide(F.coalesce("tokens_drawn", F.lit(0)), F.sum("tokens_drawn").over(all_)).alias("actual_share"), "tokens_available", F.coalesce("tokens_drawn", F.lit(0)).alias("tokens_drawn"), "max_repeats", F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "blocks")
 
 
-def shard_quotas(quota: dict[str, int], shards: int) -> list[dict[str, int]]:
-    """Whole quotas per shard: each shard is apportioned from what is left, so that they add up to ``quota``."""
-    left, out = dict(quota), []
-    total = sum(quota.values())
-    for i in range(shards):
-        size = total * (i + 1) // shards - total * i // shards
-        got = apportion_fast({s: float(q) for s, q in quota.items()}, left, size)
-        short = size - sum(got.values())
-        for s in sorted(left):
-            more = min(short, left[s] - got[s])
-            got[s] += more
-            short -= more
-        left = {s: left[s] - got[s] for s in left}
-        out.append(got)
-    return out
-
-
-def quotas(documents: DataFrame, targets: DataFrame, shards: int = 64, block: int | None = None, total: int | None = None, ranks: str = RANKS) -> DataFrame:
+def quotas(documents: DataFrame, targets: DataFrame, shards: int = SHARDS, block: int | None = None, total: int | None = None, ranks: str = RANKS) -> DataFrame:
     """(shard, source, blocks): the blocks of every source in every shard."""
     *_, quota, _, _ = _setup(documents, targets, block, total, ranks)
     rows = [(i, s, n) for i, got in enumerate(shard_quotas(quota, shards)) for s, n in sorted(got.items())]

@@ -41,7 +41,7 @@ _GOES_ON = frozenset("to on about and or since because as after while before of
 _COMPANY = frozenset("co ltd inc corp plc bros etc usw p.a".split())
 _STARTERS = frozenset(
     "the a an on in by as of with when whenever because although once given after before between some unless despite long under its for according do why is his her their our we "
-    "please contact customer run forms staff interest statement patient reference call reply national until this that it they if region scores page".split()
+    "please until this that it they if you he she there these those my your who what where how at from so but no all any each every".split()
 )
 _VOWEL = re.compile("[aeiouyáéíóúàèìòùâêîôûäëïöüœæåøąęěůý]")
 _WORD = re.compile(r"\w+")
@@ -251,6 +251,41 @@ def _split(text: str, low: int, high: int, out: list[tuple[int, int]]) -> None:
     close(high)
 
 
+def _list_items(text: str, starts: list[int], a: int, b: int) -> list[int]:
+    """The lines of a block that begin list items, told by a stack of open list levels.
+
+    A level is an indent, a kind of mark and the last number. A marked line goes on the nearest open level of its indent
+    and kind if its number is the next, and closes the levels inside it; a bullet, a 1 or an a opens a level. A level
+    counts if it begins the block or stands deeper than the one around it, else if it has two items at least.
+    """
+    stack: list[list] = []  # indent, kind, last number, level
+    items: list[tuple[int, int]] = []
+    sure: list[bool] = []
+    for s in starts:
+        m = _BULLET.match(text, s, b)
+        if not m:
+            continue
+        lead = m.group(0)
+        indent = len(lead) - len(lead.lstrip())
+        kind = m.group(1) or ("number" if m.group(2) else "letter")
+        n = int(m.group(2)) if m.group(2) else ord(m.group(3)) - 96 if m.group(3) else 0
+        at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == indent and stack[i][1] == kind and (not n or n == stack[i][2] + 1)), None)
+        if at is not None:
+            del stack[at + 1 :]
+            stack[at][2] = n
+            items.append((s, stack[at][3]))
+        elif n <= 1:
+            while stack and stack[-1][0] > indent:
+                stack.pop()
+            sure.append(s == a or bool(stack) and indent > stack[-1][0])
+            stack.append([indent, kind, n, len(sure) - 1])
+            items.append((s, len(sure) - 1))
+    size = [0] * len(sure)
+    for _, level in items:
+        size[level] += 1
+    return [s for s, level in items if sure[level] or size[level] > 1]
+
+
 def sentences(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of every sentence unit; none for null, empty and blank texts."""
     if not text:
@@ -281,33 +316,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
                     e -= 1
                 out.append((a, e))
                 continue
-            items, number, kind = [], 0, None
-            for s in starts:
-                m = _BULLET.match(text, s, b)
-                if not m:
-                    continue
-                if m.group(1):
-                    if kind in (None, "bullet") and (s == a or kind):
-                        kind = "bullet"
-                        items.append(s)
-                elif m.group(2):
-                    if int(m.group(2)) == number + 1 and kind in (None, "number") and (s == a or number):
-                        number += 1
-                        kind = "number"
-                        items.append(s)
-                elif ord(m.group(3)) - 96 == number + 1 and kind in (None, "letter") and (s == a or number):
-                    number += 1
-                    kind = "letter"
-                    items.append(s)
-            if not items:
-                # a list under a line of its own: at least two marked lines of one kind
-                marked = [(s, m) for s in starts[1:] if (m := _BULLET.match(text, s, b))]
-                bullets = [s for s, m in marked if m.group(1)]
-                numbers = [(s, int(m.group(2))) for s, m in marked if m.group(2)]
-                if len(bullets) > 1:
-                    items = bullets
-                elif len(numbers) > 1 and [x for _, x in numbers] == list(range(1, len(numbers) + 1)):
-                    items = [s for s, _ in numbers]
+            items = _list_items(text, starts, a, b)
             if items:
                 for s, e in zip([a] * (items[0] > a) + items, items[0 if items[0] > a else 1 :] + [b]):
                     m = _BULLET.match(text, s, e)

@@ -31,6 +31,8 @@ class Policy:
 
 #: Groups up to this size are solved inside one row; larger ones by window sweeps that never hold a group in memory.
 IN_ROW = 128
+#: Values of completeness in groups above that size; more are refused.
+MAX_LEVELS = 64
 
 
 def _rank() -> Column:
@@ -90,7 +92,9 @@ def skyline(rows: DataFrame) -> DataFrame:
     is at least as new, or when an equal one in both is newer. The newest are prefix maxima over trust, taken first
     over trust ranges (at most 1,001 a group) and then inside a range, so no task has to read a whole group.
     """
-    levels = [r[0] for r in rows.select("_c").distinct().orderBy("_c").limit(64).collect()]
+    levels = [r[0] for r in rows.select("_c").distinct().orderBy("_c").limit(MAX_LEVELS + 1).collect()]
+    if len(levels) > MAX_LEVELS:
+        raise ValueError(f"completeness has more than {MAX_LEVELS} values; make it coarser")
     bin_of = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_t"))) * 1000)
     points = rows.groupBy("_k", bin_of.alias("_b"), "_t", "_c").agg(F.max("_r").alias("_m"))
     coarse = W.partitionBy("_k").orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
@@ -109,21 +113,33 @@ def skyline(rows: DataFrame) -> DataFrame:
 
 
 def _solve_large(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """Peels layer after layer with ``skyline``; ends when no group has both a null field and records left."""
+    """Peels layer after layer with ``skyline``, as long as a group has records left that could fill a field it lacks.
+
+    A field that no record of the group has is lacked by none, and a group whose open fields none of the remaining
+    records has is done, so a field that is null everywhere peels nothing. A group is peeled down to the layer of the
+    last value that it needs, each layer a round over the groups still open.
+    """
     left = cut(rows.groupBy("_k", "_id").agg(F.max_by(F.struct("_c", "_t", "_r", "_f", "_v"), _rank()).alias("_x")).select("_k", "_id", "_x.*"))
+    # what a group can have at all
+    can = cut(left.groupBy("_k").agg(F.count(F.lit(1)).alias("n_records"), *(F.max(F.col("_v")[f].isNotNull()).alias(f"_can_{f}") for f in fields)))
     held: DataFrame | None = None
     while True:
         layer = skyline(left)
         rank = _rank()
         top = layer.where("on_skyline").groupBy("_k").agg(F.max_by("_id", rank).alias("survivor_id"), F.count(F.lit(1)).alias("n_skyline"), *(F.max_by(F.col("_v")[f], F.when(F.col("_v")[f].isNotNull(), rank)).alias(f) for f in fields), F.max_by("_v", rank).alias("_own"))
         if held is None:
-            size = left.groupBy("_k").agg(F.count(F.lit(1)).alias("n_records"))
-            held = cut(top.join(size, "_k"))
+            held = cut(top.join(can, "_k"))
         else:
             more = top.select("_k", *(F.col(f).alias(f"_n_{f}") for f in fields))
-            held = cut(held.join(more, "_k", "left").select("_k", "survivor_id", "n_skyline", "n_records", "_own", *(F.coalesce(F.col(f), F.col(f"_n_{f}")).alias(f) for f in fields)))
-        open_groups = held.where(" or ".join(f"`{f}` is null" for f in fields)).select("_k")
-        left = cut(layer.where("not on_skyline").drop("on_skyline").join(open_groups, "_k", "left_semi"))
+            held = cut(held.join(more, "_k", "left").select("_k", "survivor_id", "n_skyline", "n_records", "_own", *(f"_can_{f}" for f in fields), *(F.coalesce(F.col(f), F.col(f"_n_{f}")).alias(f) for f in fields)))
+        lacks = held.select("_k", *((F.col(f).isNull() & F.col(f"_can_{f}")).alias(f"_lack_{f}") for f in fields)).where(" or ".join(f"`_lack_{f}`" for f in fields))
+        useful = None
+        for f in fields:
+            fills = F.col(f"_lack_{f}") & F.col("_v")[f].isNotNull()
+            useful = fills if useful is None else useful | fills
+        rest = layer.where("not on_skyline").drop("on_skyline").join(lacks, "_k")
+        open_groups = cut(rest.where(useful).select("_k").distinct())
+        left = cut(rest.join(open_groups, "_k", "left_semi").select(*left.columns))
         if not left.take(1):
             break
     return held.select("_k", "survivor_id", F.col("n_records").cast("int"), F.col("n_skyline").cast("int"), F.filter(F.array(*(F.when(F.col("_own")[f].isNull() & F.col(f).isNotNull(), F.lit(f)) for f in fields)), lambda x: x.isNotNull()).alias("filled"), *fields)
