@@ -20,7 +20,7 @@ from sheafwork.session import spread
 
 MASKS = ("11110110111", "1110101100111", "101001101111")
 MIN_WORDS, ONE_IN = 28, 8
-#: Items up to this many characters in all travel to the workers as one index; larger test sets are joined by seed hash.
+#: Items of about so many characters travel to the workers as one index; a larger test set goes in several blocks.
 INDEX_CHARS = 20_000_000
 _MARKS = re.compile(r"[^\w\s]+|_+")
 
@@ -141,15 +141,23 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, on
 
     ``documents`` needs ``doc_id`` and ``text``, ``items`` ``item_id`` and ``text``; null and empty texts match nothing,
     a pair is given once however often it occurs, repeated rows of one id count once, other columns are ignored. The
-    index of the items is sent to the workers if their texts have at most ``index_chars`` characters in all; otherwise
-    both sides' seeds are joined by hash.
+    index of a block of items is sent to the workers and all documents are held against it; a test set of more than
+    ``index_chars`` characters makes several blocks, and the result doesn't depend on their number.
     """
-    items = items.select("item_id", "text").where(F.length("text") > 0).dropDuplicates(["item_id"])
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).head()[0]
-    if size > index_chars:
-        return _joined(documents, items, min_words, one_in)
-    held = [(r.item_id, r.text) for r in items.collect()]
-    sent = documents.sparkSession.sparkContext.broadcast(held)
+    items = items.select("item_id", "text").where(F.length("text") > 0).groupBy("item_id").agg(F.max("text").alias("text"))
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).head()
+    blocks = max(1, min(n, -(-size // max(1, index_chars))))
+    texts = spread(documents.select("doc_id", "text").where(F.length("text") > 0))
+    out = None
+    for i in range(blocks):
+        held = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).collect()]
+        one = _against(texts, held, min_words, one_in)
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", (-F.col("n_changed")).alias("c"), (-F.col("item_word")).alias("w"))).alias("_x")).select("doc_id", "item_id", F.col("_x.n_words").alias("n_words"), (-F.col("_x.w")).alias("item_word"), (-F.col("_x.c")).alias("n_changed"))
+
+
+def _against(texts: DataFrame, held: list[tuple[int, str]], min_words: int, one_in: int) -> DataFrame:
+    sent = texts.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Index(sent.value)
@@ -159,43 +167,7 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, on
                 rows = index.find(batch["text"][a : a + 2000].tolist(), min_words, one_in)
                 yield pd.DataFrame([(ids[a + d], *rest) for d, *rest in rows], columns=["doc_id", "item_id", "n_words", "item_word", "n_changed"])
 
-    return spread(documents.select("doc_id", "text").where(F.length("text") > 0)).mapInPandas(run, OUT).groupBy("doc_id", "item_id").agg(*(F.max_by(c, "n_words").alias(c) for c in ("n_words", "item_word", "n_changed")))
-
-
-def _seeds(rows: DataFrame, name: str) -> DataFrame:
-    """(hash, name, at): the seeds of every text; word codes are hashes of the words, alike on every worker."""
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        for batch in batches:
-            for row_id, text in zip(batch[name], batch["text"]):
-                codes = np.array([xxhash.xxh64_intdigest(w) for w in words(text)], dtype=np.uint64)
-                for k in range(len(MASKS)):
-                    h = seed_hashes(codes, k)
-                    yield pd.DataFrame({"hash": (h ^ np.uint64(k)).view(np.int64), name: row_id, "at": np.arange(len(h), dtype=np.int32)})
-
-    return rows.select(name, "text").where(F.length("text") > 0).mapInPandas(run, f"hash long, {name} long, at int")
-
-
-def _joined(documents: DataFrame, items: DataFrame, min_words: int, one_in: int) -> DataFrame:
-    """The same result for test sets of any size: seeds joined by hash, candidates verified beside their texts.
-
-    Only document seeds whose hash occurs in an item survive the join; a hash that very many rows share is split by
-    adaptive skew handling, and pairs are reduced to one candidate a diagonal before texts are fetched.
-    """
-    hits = _seeds(documents, "doc_id").join(_seeds(items, "item_id").withColumnRenamed("at", "item_at"), "hash")
-    lines = hits.select("doc_id", "item_id").distinct()
-    pairs = lines.join(documents.select("doc_id", F.col("text").alias("_doc")).dropDuplicates(["doc_id"]), "doc_id").join(items.select("item_id", F.col("text").alias("_item")), "item_id")
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for d, i, doc, item in zip(batch["doc_id"], batch["item_id"], batch["_doc"], batch["_item"]):
-                out += [(d, i, *rest) for _, _, *rest in Index([(i, item)]).find([doc], min_words, one_in)]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_words", "item_word", "n_changed"])
-
-    return pairs.mapInPandas(run, OUT)
+    return texts.mapInPandas(run, OUT)
 
 
 def leaked_items(found: DataFrame, items: DataFrame) -> DataFrame:

@@ -50,6 +50,8 @@ _CAPITAL = re.compile(r"[^\W\d_]+")
 _TITLE_BEFORE = re.compile(r"([^\W\d_]+)\.?\s+$")
 _HOUSE_NUMBER = re.compile(r"\d{1,4}[a-zA-Z]?\s(?=[A-Za-z])(?!(?:[ap]\.m|pages|days|drafts|of)\b)")
 _ADDRESS_BODY = re.compile(rf"\d{{1,4}}[a-z]?\s+(?:[\w'’.]+\s+){{1,3}}?{_STREET}\b\.?,?\s+(?!{_STREET}\b)(?:(?P<town>[A-Z][\w'’-]*(?:\s[A-Z][\w'’-]*){{0,2}}?),?\s+(?P<code>{_POSTCODE})\b|(?P<bare>[A-Z][\w'’-]*(?:\s[A-Z][\w'’-]*){{0,2}}?)(?=\s*[,.;?!)\n]|\s+[a-z]))", re.I)
+#: A house number, up to four capitalised words and a town before a full postcode: the postcode vouches for a street of any kind.
+_ADDRESS_ANY = re.compile(rf"\d{{1,4}}[a-zA-Z]?\s+[A-Z][\w'’.-]*(?:\s+(?:[A-Z][\w'’.-]*|of|the|on|upon|under)){{0,4}},\s+(?P<town>[A-Z][\w'’-]*(?:[ -](?:[A-Z][\w'’-]*|on|upon|under|le|the)){{0,3}}?),?\s+(?P<code>{_POSTCODE})\b")
 _UNIT = re.compile(r"(?:flat|unit|apartment|apt\.?|suite|room)\s+\d+[A-Za-z]?,?\s+$", re.I)
 _HOUSE = re.compile(r"(?:[\w'’-]+\s+){0,2}[\w'’-]+,\s+$")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
@@ -171,6 +173,8 @@ class Proposer:
             if h.start() and (text[h.start() - 1].isalnum() or text[h.start() - 1] in "£€.,/:-_"):
                 continue
             m = _ADDRESS_BODY.match(text, h.start(), min(len(text), h.start() + 110))
+            if m is None or m.group("code") is None:
+                m = _ADDRESS_ANY.match(text, h.start(), min(len(text), h.start() + 160)) or m
             if not m:
                 continue
             code = m.group("code") is not None

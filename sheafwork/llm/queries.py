@@ -86,3 +86,13 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_reliability": p2_reliability, "p2_agreement": p2_agreement, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p5_repaired": p5_repaired, "p5_repaired_regions": p5_repaired_regions, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_quotas": p8_quotas, "p9_found": p9_found}
+
+_DOC = "regexp_replace(regexp_replace(lower(trim(document_id)), '^uploads/', ''), '[.]pdf$', '')"
+#: Where SQL can say the same over whole tables.
+ORACLES: dict[str, str] = {
+    "p6_found": f"""with u as (select run_id, max(updated_at) as r, min(started_at) as f from runs where run_id is not null group by 1),
+p as (select page_row_id, {_DOC} as d, solution, page_index, (coalesce(len(regions), 0) > 0 or coalesce(n_tables, 0) > 0)::int as c, coalesce(case when confidence > 1 then confidence / 100 else confidence end, 0) as t, r, f from page_results left join u using (run_id)),
+o as (select *, row_number() over (partition by d, solution, page_index, page_row_id order by c desc, t desc, r desc nulls last, f nulls last) as again from p),
+k as (select page_row_id, row_number() over (partition by d, solution, page_index order by c desc, t desc, r desc nulls last, f nulls last, page_row_id) as place, count(*) over (partition by d, solution, page_index) as n from o where again = 1)
+select page_row_id from k where place = 1 and n > 1""",
+}
