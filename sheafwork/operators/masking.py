@@ -113,4 +113,4 @@ def applied(texts: DataFrame, rows: DataFrame, key: str, text: str = "text") ->
     lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "new"))).alias("s"))
     out = texts.select(key, F.col(text).alias("_t")).join(lists, key, "left")
     s = F.coalesce("s", F.array().cast("array<struct<start_pos:int,end_pos:int,new:string>>"))
-    return out.select(key, spliced(F.col("_t"), s).alias("new_text"), mapped(s).alias("spans"), F.size(s).alias("n"))
+    return out.select(key, F.when(F.col("_t").isNotNull(), spliced(F.col("_t"), s)).alias("new_text"), mapped(s).alias("spans"), F.size(s).alias("n"))
