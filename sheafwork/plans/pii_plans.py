@@ -67,6 +67,17 @@ def redact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("entity_type").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_mocks"), F.count(F.when(F.col("o") > 1, 1)).alias("n_collisions"))
 
 
+def redact_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of every text after redaction and restoring: offsets of same-length stand-ins stay where they were."""
+    docs = spans_plans.documents(spark, sf_dir)
+    rows = masking.replaced(docs, _merged(spark, sf_dir), "doc_id", masking.mock_sql(RUN))
+    back = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", F.col("value").alias("new")))).alias("b"))
+    new = masking.applied(docs, rows, "doc_id").join(back, "doc_id", "left")
+    restored = F.when(F.col("b").isNull(), F.col("new_text")).otherwise(masking.spliced(F.col("new_text"), F.col("b")))
+    return new.select("doc_id", F.md5(restored).alias("digest"), F.length("new_text").cast("long").alias("n_chars"))
+
+
+_d.put("redact_restored", redact_restored, "select doc_id, md5(text) as digest, length(text)::bigint as n_chars from documents")
 _d.put("merge_spans", merge_spans, _MERGED)
 _d.put("redact_documents", _documents_with(masking.mask_sql("replace")), _applied_sql(masking.mask_sql("replace", 1)))
 _d.put("mask_documents", _documents_with(masking.default_sql()), _applied_sql(masking.default_sql(1)))

@@ -138,3 +138,17 @@ _d.add(
 )
 _d.add("overlay_list", "detections", f"select document, page_index, detection_id, place from (select document, page_index, detection_id, row_number() over (partition by document, page_index order by start_pos nulls last, detection_id) as place from {_DET} d where entity_type in ('EMAIL_ADDRESS', 'URL', 'PERSON', 'UK_POSTCODE')) q where place <= 50")
 _d.add("pages_windowed", "page_results", f"select document, run_id, page_index, page_row_id, coalesce(lead(page_row_id) over (partition by document, run_id order by page_index, page_row_id), -1) as next_row, row_number() over (partition by document, run_id order by page_index, page_row_id) as place from {_PG} p where page_index is not null", size=_SIZE)
+# what several producers of one run say of a page, put together in their order
+_d.add(
+    "page_append_merge",
+    "page_results",
+    f"select document, run_id, page_index, cast(sum(n_regions) as bigint) as regions, cast(sum(n_tables) as bigint) as tables, {{join}} as full_text from {_PG} p group by 1, 2, 3",
+    size=_SIZE, join=("array_join(transform(array_sort(collect_list(case when length(full_text) > 0 then struct(solution, page_row_id, full_text) end)), s -> s.full_text), '\\n')", "coalesce(string_agg(case when length(full_text) > 0 then full_text end, chr(10) order by solution, page_row_id), '')"),
+)
+# tables of a page and their crops by position, where both have one at it
+_d.add(
+    "tables_by_position",
+    "regions page_results",
+    f"""with t as (select page_row_id, region_uid, row_number() over (partition by page_row_id order by y, x, region_uid) as place from {layout_plans._R} r where kind = 'table'), n as (select distinct page_row_id, coalesce(n_tables, 0) as n from {{page_results}})
+select t.page_row_id, t.region_uid, t.place, t.place <= n.n as has_model from t join n on n.page_row_id = t.page_row_id""",
+)

@@ -89,3 +89,11 @@ def test_score_window_is_around_the_start(spark):
     assert {r["doc_id"]: r["score"] for r in recognise.spans(df, "doc_id", recognisers=one).collect()} == {1: 0.4, 2: 0.4}
     near = spark.createDataFrame([(1, "account 12345678")], "doc_id long, text string")
     assert recognise.spans(near, "doc_id", recognisers=one).select(F.round("score", 6)).head()[0] == 0.75
+
+
+def test_one_form_of_a_text(spark):
+    from sheafwork.functions import normalise
+
+    df = spark.createDataFrame([("ﬁne  \t x²",), (None,), ("Straße",)], "t string")
+    assert [r[0] for r in df.select(normalise.normalised(F.col("t"))).collect()] == ["fine x2", None, "Straße"]
+    assert [r[0] for r in df.select(normalise.casefolded(F.col("t"))).collect()][2] == "strasse"
