@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafwork.operators.shred import Node, flatten, shred
+from sheafwork.operators.shred import Node, flatten, pruned, shred
 
 _BBOX = Node("bbox", (Node("x"), Node("y"), Node("w"), Node("h")))
 _COUNT = (Node("name"), Node("n"))
@@ -193,10 +193,11 @@ def run_columns(raw: DataFrame) -> DataFrame:
 def run_tables(raw: DataFrame, tables: list[str] | None = None, fields: bool = True) -> DataFrame:
     """Every element of the latest states: ``pii_run_id``, ``table``, ``ord``, ``parent``, ``key``, ``parent_key``, ``fields``.
 
-    ``tables`` keeps the named tables and those around them.
+    ``tables`` keeps the named tables and those around them; without ``fields`` only the key columns are striped.
     """
     kept = {k: v for k, v in TABLES.items() if tables is None or any(v == TABLES[t][: len(v)] for t in tables)}
-    return flatten(latest_states(raw), ["pii_run_id"], "payload", RUN, read_run, kept, PARTS, "pii_run_id", fields)
+    schema = RUN if fields else pruned(RUN, {(*path, part) for name, path in kept.items() for part in PARTS[name]})
+    return flatten(latest_states(raw), ["pii_run_id"], "payload", schema, read_run, kept, PARTS, "pii_run_id", fields)
 
 
 def run_nodes(raw: DataFrame) -> DataFrame:

@@ -57,6 +57,20 @@ def leaves(node: Node, path: tuple[str, ...] = ()) -> Iterator[tuple[str, ...]]:
             yield here
 
 
+def pruned(node: Node, keep: set[tuple[str, ...]], path: tuple[str, ...] = ()) -> Node:
+    """``node`` with the leaf paths in ``keep`` alone, so that no other column is striped."""
+    children = []
+    for child in node.children:
+        here = (*path, child.name)
+        if child.children:
+            below = pruned(child, keep, here)
+            if below.children:
+                children.append(below)
+        elif here in keep:
+            children.append(child)
+    return Node(node.name, tuple(children), node.repeated)
+
+
 def stripe(record: dict, schema: Node) -> dict[tuple[str, ...], Stripe]:
     """The columns of one record.
 

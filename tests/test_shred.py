@@ -40,3 +40,18 @@ def test_stored_columns_give_the_same_tables(spark):
     stored = shred(rows, ["pii_run_id"], "payload", TREE, json.loads)
     out = unshred(stored, ["pii_run_id"], TREE, {"a": ("a",), "b": ("a", "b")}, {"a": ("x",), "b": ("y",)}, "pii_run_id").collect()
     assert {(r["table"], r["key"], r["parent_key"]) for r in out} == {("a", "1", "r"), ("b", "1/2", "1")}
+
+
+def test_keys_alone_need_only_their_columns():
+    from sheafwork.operators import pii_run_tables as P
+    from sheafwork.operators.shred import assemble, leaves, pruned, stripe
+
+    run = {"pii_run_id": "r", "documents": [{"document_id": "d", "pages": [{"page_index": 0, "tables": [{"region_id": "t", "cells": [{"row": 1, "col": 2}, {"row": None}]}], "results": []}, {"tables": []}]}, {}]}
+    keep = {(*path, part) for name, path in P.TABLES.items() for part in P.PARTS[name]}
+    small = pruned(P.RUN, keep)
+    assert set(leaves(small)) == keep and len(keep) < len(set(leaves(P.RUN)))
+    for path in P.TABLES.values():
+        whole = assemble(stripe(run, P.RUN), P.RUN, path)
+        slim = assemble(stripe(run, small), small, path)
+        assert [r["_ord"] for r in whole] == [r["_ord"] for r in slim]
+        assert all(w[k] == v for w, s in zip(whole, slim) for k, v in s.items())
